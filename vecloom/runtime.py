@@ -4,9 +4,13 @@ and streaming over the groups of a sorted partition."""
 from __future__ import annotations
 
 import atexit
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +72,33 @@ def scratch(spark: SparkSession, what: str = "stage") -> str:
     return path
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers: nothing to do where PYTHONPATH already leads to it, else a zip of it is
+    put into the shared folder and added to the session."""
+    root = Path(__file__).resolve().parent
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    if str(root.parent) in [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]:
+        return
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    path = f"{scratch(spark, 'code')}/{root.name}.zip"
+    fs, p = hadoop_path(spark, path)
+    stream = fs.create(p, True)
+    try:
+        stream.write(bytearray(held.getvalue()))
+    finally:
+        stream.close()
+    sc.addPyFile(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute once, write as compressed Parquet to the shared folder, continue from the files. Survives the loss of executors."""
     spark = df.sparkSession
