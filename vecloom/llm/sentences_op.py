@@ -243,7 +243,7 @@ class Model:
         for r in rows:
             by[r["lang"]].append(r)
         for lang, some in by.items():
-            total = some[0]["P"], some[0]["E"], some[0]["W"], some[0]["S"]
+            total = [some[0][f"all_{k}"] for k in "pews"]
             periods, ends, words, begun = (x or 0 for x in total)
             for r in some:
                 t, w, p, e, s, c = r["token"], r["w"] or 0, r["p"] or 0, r["e"] or 0, r["s"] or 0, r["c"] or 0
@@ -337,8 +337,8 @@ def learn(docs: DataFrame) -> Model:
     counted = docs.mapInArrow(observe, "lang string, kind string, token string, n bigint").groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
     of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")))
     tokens = counted.groupBy("lang", "token").agg(*[of(k).alias(k) for k in "wpescd"])
-    totals = counted.groupBy(F.col("lang").alias("l")).agg(of("p").alias("P"), of("e").alias("E"), of("w").alias("W"), of("s").alias("S"))
-    frequent = (F.coalesce("p", F.lit(0)) >= F.greatest(F.lit(3), FLOOR * F.col("P"))) | (F.greatest(F.coalesce("s", F.lit(0)), F.coalesce("c", F.lit(0))) >= F.greatest(F.lit(2), FLOOR * F.col("S")))
+    totals = counted.groupBy(F.col("lang").alias("l")).agg(of("p").alias("all_p"), of("e").alias("all_e"), of("w").alias("all_w"), of("s").alias("all_s"))
+    frequent = (F.coalesce("p", F.lit(0)) >= F.greatest(F.lit(3), FLOOR * F.col("all_p"))) | (F.greatest(F.coalesce("s", F.lit(0)), F.coalesce("c", F.lit(0))) >= F.greatest(F.lit(2), FLOOR * F.col("all_s")))
     return Model.fit(tokens.join(totals, tokens["lang"] == totals["l"]).filter(frequent).drop("l").collect())
 
 
