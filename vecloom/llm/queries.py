@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 
-PARTS = ["search_answers", "clusters", "abstracts", "pieces", "neighbours", "contexts", "leaks", "sentences"]
+PARTS = ["search_answers", "clusters", "abstracts", "pieces", "neighbours", "leaks", "sentences"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _name in PARTS:
-    if importlib.util.find_spec(f"vecloom.llm.{_name}"):
-        _part = importlib.import_module(f"vecloom.llm.{_name}")
-        QUERIES |= _part.QUERIES
-        ORACLES |= getattr(_part, "ORACLES", {})
+    _part = importlib.import_module(f"vecloom.llm.{_name}")
+    QUERIES |= _part.QUERIES
+    ORACLES |= getattr(_part, "ORACLES", {})
