@@ -1,0 +1,61 @@
+from collections import defaultdict
+
+import numpy as np
+from __spark_entry__ import queries
+
+from vecloom.llm.packing import CONTEXT, LINEAR, QUADRATIC, TOKEN, contexts, pack, parts
+
+DATA = "/root/testdata/sf0.01"
+
+
+def test_pack_goes_to_the_cheapest_context_with_room():
+    """Against the rule followed step by step."""
+    tokens = np.sort(np.random.default_rng(3).integers(1, 90, 300))[::-1]
+    room = [100] * -(-int(tokens.sum()) // 100)
+    cost, want = [0.0] * len(room), []
+    for t in tokens:
+        at = min((c, k) for k, c in enumerate(cost) if room[k] >= t)[1] if max(room) >= t else len(room)
+        if at == len(room):
+            room.append(100)
+            cost.append(0.0)
+        room[at] -= t
+        cost[at] += LINEAR * t + QUADRATIC * t * t
+        want.append(at)
+    assert pack(tokens, 100).tolist() == want
+
+
+def test_parts_cover_the_text():
+    text = " Ein Wörterbuch 12345 的时候,\n\n" * 50
+    whole = len(TOKEN.findall(text))
+    for size in (1, 7, 100, whole - 1, whole):
+        got = parts(text, size)
+        assert got[0][0] == 0 and got[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(got, got[1:]))
+        assert [len(TOKEN.findall(text[s:e])) for s, e, _ in got] == [n for *_, n in got]
+        assert all(n == size for *_, n in got[:-1])
+    assert parts("  \n", 5) == parts(None, 5) == []
+
+
+def test_shards_and_repeated_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "a " * int(n)) for i, n in enumerate(rng.integers(0, 60, 500))] + [(None, "a"), (7, "a"), (501, "b " * 130)]
+    got = contexts(spark.createDataFrame(rows, "id bigint, text string"), "id", "text", size=50, shard=100).collect()
+    check(dict(sorted((r for r in rows if r[0] is not None), key=lambda r: r[1])), got, 50)
+
+
+def check(texts, got, size):
+    held, by = defaultdict(int), defaultdict(list)
+    for r in got:
+        held[r["context_id"]] += r["tokens"]
+        by[r[1]].append((r["part_no"], r["begin_char"], r["end_char"], r["tokens"]))
+    want = {i: [(k, *p) for k, p in enumerate(parts(t, size))] for i, t in texts.items() if parts(t, size)}
+    assert {i: sorted(p) for i, p in by.items()} == want
+    assert all(len(p) == 1 or sum(x[3] for x in p) > size for p in by.values())
+    assert max(held.values()) <= size
+    return sum(held.values()) / (len(held) * size)
+
+
+def test_all_notebooks_are_packed_with_little_room_left(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    fill = check(texts, queries()["p7_contexts"](spark, DATA).collect(), CONTEXT)
+    print("fill", fill)
+    assert fill > 0.98
