@@ -1,0 +1,26 @@
+from itertools import combinations
+
+from vecloom.llm.neardup import NearDuplicates, shingles
+
+
+def by_brute_force(rows, words, similarity):
+    sets = {i: set(shingles(t, words).tolist()) for i, t in rows}
+    return sorted((a, b) for a, b in combinations(sorted(sets), 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]))
+
+
+def test_all_pairs_of_large_classes(spark):
+    """65 different texts of one set of runs, 66 equal ones, and one that is similar to each of the first."""
+    words = [f"w{i}x" for i in range(40)]
+    other = " ".join(f"v{i}y" for i in range(30))
+    rows = [(i, " ".join(w.upper() if i >> k & 1 else w for k, w in enumerate(words)) + "!" * (i % 3)) for i in range(65)]
+    rows += [(100 + i, other) for i in range(66)] + [(90, " ".join([*words, "more", "words"])), (91, "too short"), (92, None)]
+    got = NearDuplicates(spark.createDataFrame(rows, "id bigint, text string"), "id", "text", words=3, similarity=0.7).id_pairs().collect()
+    assert sorted(map(tuple, got)) == by_brute_force(rows, 3, 0.7)
+
+
+def test_links_of_classes(spark):
+    """p3_classes has no SQL; its operator against brute force."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(base)), (2, " ".join(base).upper()), (3, " ".join([*base, "end"])), (4, " ".join(f"q{i}" for i in range(20)))]
+    got = NearDuplicates(spark.createDataFrame(rows, "id bigint, text string"), "id", "text").links().collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 2, 1), (2, 1, 2, 1), (3, 3, 1, 1), (4, 4, 1, 0)]

@@ -4,7 +4,7 @@ Each text is the set of its runs of ``words`` consecutive words. Register i of a
 the least of one exponential value per element: exponentially spaced, truncated minima. Registers of a union are the maxima of the
 registers, and two registers agree with a probability close to the similarity of the sets.
 
-1. Texts with the same set form a class; only its representative (smallest id) goes on, so copies cost nothing further.
+1. Texts with the same set form a class; only its representative (smallest id) goes on to be compared; ``id_pairs`` gives the pairs of all members.
 2. Registers are banded; representatives that agree in all registers of a band are compared. The bands are laid out so that a pair at the
    threshold is missed with a probability of at most ``MISS``.
 3. In a bucket, similarity is estimated jointly from the numbers of greater, equal and smaller registers by maximum likelihood; pairs
@@ -33,7 +33,6 @@ REGISTERS, BASE, RATE, TOP = 240, 1.001, 20.0, (1 << 16) - 2
 MISS = 2e-4
 SLACK = 0.15  # about five standard errors of the estimate
 BLOCK = 256
-COPIES = 64
 WORD = re.compile(r"[^\W_]+")
 _known: dict[str, int] = {}
 
@@ -212,17 +211,11 @@ class NearDuplicates:
         self.pairs = both.select("a", "b", (F.col("x") / (F.col("y") - F.col("x"))).alias("similarity")).filter(F.col("similarity") >= similarity)
 
     def id_pairs(self) -> DataFrame:
-        """Pairs of ids, ``id_a < id_b``. Copies stand for themselves in classes of up to COPIES members; a larger class is given
-        by its representative: paired with each of its members, and in its place in pairs with other classes."""
-        sizes = self.classes.groupBy("rep").agg(F.count("*").alias("size"))
-        members = self.classes.join(sizes, "rep").filter((F.col("size") <= COPIES) | (F.col("id") == F.col("rep"))).select("rep", "id")
-        a, b = (members.select(F.col("rep").alias(x), F.col("id").alias(f"i{x}")) for x in "ab")
+        """All pairs of ids, ``id_a < id_b``: the members of a class with each other, and with the members of similar classes."""
+        a, b = (self.classes.select(F.col("rep").alias(x), F.col("id").alias(f"i{x}")) for x in "ab")
         across = self.pairs.select("a", "b").join(a, "a").join(b, "b").select("ia", "ib")
-        copied = sizes.filter((F.col("size") > 1) & (F.col("size") <= COPIES)).select("rep")
-        ma = self.classes.join(copied, "rep", "left_semi")
-        within = ma.select("rep", F.col("id").alias("ia")).join(ma.select("rep", F.col("id").alias("ib")), "rep").filter("ia < ib").select("ia", "ib")
-        star = self.classes.join(sizes.filter(F.col("size") > COPIES), "rep").filter("id > rep").select(F.col("rep").alias("ia"), F.col("id").alias("ib"))
-        return across.union(within).union(star).select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
+        within = a.join(b.withColumnRenamed("b", "a"), "a").filter("ia < ib").select("ia", "ib")
+        return across.union(within).select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
 
     def links(self) -> DataFrame:
         """One row a text: ``id``, its class ``rep``, the number of ``copies`` and of similar other classes (``links``)."""
