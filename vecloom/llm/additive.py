@@ -5,9 +5,10 @@ of a sample of at most ``SAMPLE`` vectors (block 0, a random part of the group);
 book by beam search. A block keeps the codes, the vectors' norms, the length of what the code leaves over, and the vectors.
 
 Search. Query blocks are sent to every block of their group. Lookup tables hold the inner products of a query with all codewords; the estimate of a
-vector is the sum of ``BOOKS`` table entries, with the stored norms for the other metrics. The best ``2 k + 16`` by estimate are scored exactly; so
-is then every vector whose estimate, raised by ``SIGMAS`` standard errors of its own quantisation error, reaches the k-th of those scores. The lists
-of the blocks are merged by the loser tree of ``topn``. There is no cap on candidates, so accuracy doesn't fall with the size of a group.
+vector is the sum of ``BOOKS`` table entries, with the stored norms for the other metrics. The best ``2 k + 16`` by estimate are scored exactly. Left over
+is a vector only if its estimate, raised by the most that its own quantisation error can add (the length of what its code leaves over times that of the
+query) and by the rounding of single precision, is below the k-th of those scores. So the answer is exact whatever the codebooks and the
+queries are; those only decide how many vectors are scored. The lists of the blocks are merged by the loser tree of ``topn``.
 
 Metrics: 0 squared L2 (smaller is better), 1 inner product, 2 cosine. Exact scores are in double precision; equal scores go by the
 smaller id.
@@ -32,7 +33,7 @@ from .vectors import matrix, packed
 
 BLOCK, QUERIES, SAMPLE = 8192, 256, 4096
 BOOKS, WORDS, BEAM, ROUNDS = 16, 64, 3, 5
-SIGMAS = 3.5
+ROUNDING = 2.0**-23  # of a step in single precision, doubled
 L2, INNER, COSINE = 0, 1, 2
 
 
@@ -111,7 +112,10 @@ class Block:
         n, d = self.x.shape
         words = len(self.books) // BOOKS
         tables = q.astype(np.float32) @ self.books.T
-        spread = (SIGMAS / np.sqrt(d)) * self.left
+        # the sum of the longest words bounds every partial sum of an estimate
+        longest = np.sqrt((self.books.astype(np.float64).reshape(BOOKS, words, d) ** 2).sum(axis=2)).max(axis=1).sum()
+        step = (d + 2 * BOOKS) * ROUNDING
+        spread = self.left * (1 + step) + step * (longest + self.length)
         for s in range(0, len(q), 32):
             lut = tables[s : s + 32]
             dots = np.zeros((len(lut), n), np.float32)
@@ -121,12 +125,8 @@ class Block:
                 k, metric, one = int(ks[s + i]), int(metrics[s + i]), q[s + i].astype(np.float64)
                 first = min(n, 2 * k + 16)
                 size = np.sqrt((one * one).sum())
-                if metric == L2:
-                    about, more = 2 * dots[i] - self.square, 2 * size * spread
-                elif metric == INNER:
-                    about, more = dots[i], size * spread
-                else:
-                    about, more = dots[i] / self.length, size * spread / self.length
+                scale = 2 if metric == L2 else 1 / self.length if metric == COSINE else 1
+                about, more = dots[i] * scale - (self.square if metric == L2 else 0), size * spread * scale
                 if first < n:
                     rows = np.argpartition(about, n - first)[n - first :]
                     score = self.exact(rows, one, metric)
@@ -135,7 +135,13 @@ class Block:
                         limit += size * size
                     elif metric == COSINE:
                         limit *= size
-                    rows = np.flatnonzero(about + more >= limit - 1e-6)
+                    near = ~(about + more < limit)  # also where numbers too large for single precision leave no estimate
+                    near[rows] = True
+                    rows = np.flatnonzero(near)
+                    if len(rows) > 4 * k:  # once more by the vectors themselves in single precision
+                        scale = scale[rows] if metric == COSINE else scale
+                        about = (self.x[rows] @ q[s + i].astype(np.float32)) * scale - (self.square[rows] if metric == L2 else 0)
+                        rows = rows[~(about + step * size * self.length[rows] * scale < limit)]
                 else:
                     rows = np.arange(n)
                 score = self.exact(rows, one, metric)

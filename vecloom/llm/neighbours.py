@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut, table
@@ -25,10 +25,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten vectors of highest cosine for every stored vector whose id is divisible by 20."""
+    """The ten other vectors of highest cosine for every stored vector whose id is divisible by 20."""
     vectors = cut(latest_vectors(spark, sf_dir))
-    asked = vectors.filter("id % 20 = 0").select(F.col("id").alias("qid"), F.lit(0).cast("bigint").alias("sub"), "grp", F.col("vec").alias("q"), F.lit(10).alias("k"), F.lit(2).alias("metric"))
-    return search(cut(build_index(vectors)), asked).select(F.col("qid").alias("vec_id"), F.col("id").alias("neighbour_id"), "rank")
+    # one more is asked for, as the vector itself is mostly among them
+    asked = vectors.filter("id % 20 = 0").select(F.col("id").alias("qid"), F.lit(0).cast("bigint").alias("sub"), "grp", F.col("vec").alias("q"), F.lit(11).alias("k"), F.lit(2).alias("metric"))
+    found = search(cut(build_index(vectors)), asked)
+    own = F.max(F.when(F.col("id") == F.col("qid"), F.col("rank"))).over(Window.partitionBy("qid"))
+    others = found.withColumn("own", own).filter("id != qid").withColumn("rank", F.col("rank") - F.when(F.col("rank") > F.col("own"), 1).otherwise(0)).filter("rank <= 10")
+    return others.select(F.col("qid").alias("vec_id"), F.col("id").alias("neighbour_id"), "rank")
 
 
 QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours}
