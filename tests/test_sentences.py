@@ -1,0 +1,15 @@
+from vecloom.llm.sentences_op import learn, sentences
+
+SCHEMA = "doc_id bigint, text string, lang string, cells array<struct<cell_no int, cell_kind string, exec_count int, begin_char int, end_char int>>"
+
+
+def test_tokens_with_ample_counts_count_in_any_corpus(spark):
+    """350,000 periods of a language: a word seen three times is still a known one, so it ends its sentence before a digit."""
+    many = "The word was here. " * 200
+    rare = "He was in the zorkan. The next was the zorkan. And this was the zorkan. 5 of them were here."
+    texts = [many] * 1750 + [rare]
+    docs = spark.createDataFrame([(i, t, "en", [(0, "text", None, 0, len(t))]) for i, t in enumerate(texts)], SCHEMA)
+    model = learn(docs)
+    assert "zorkan" in model.known["en"]
+    got = sentences(docs.filter("doc_id = 1750"), model=model).collect()
+    assert [rare[r["begin_char"] : r["end_char"]] for r in sorted(got, key=lambda r: r["begin_char"])] == ["He was in the zorkan.", "The next was the zorkan.", "And this was the zorkan.", "5 of them were here."]

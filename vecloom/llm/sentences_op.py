@@ -8,8 +8,9 @@ Two passes over the texts:
    paragraphs significantly less than other tokens with periods), collocations of a number with the word after it, and sentence starters.
 2. Classification of every possible end with these statistics, the case of what follows, quotes, and the rules of the script.
 
-The model holds tokens that make up at least ``FLOOR`` of a language's tokens with periods (or words that start sentences), so it has at most
-1 / FLOOR entries a language, whatever the size of the corpus; rarer tokens are judged by their form and by what follows.
+Tokens are judged in Spark by their counts alone, whatever their share of the corpus. The model holds abbreviations, collocations and starters, and of the
+other tokens seen with periods only those for which having been seen can decide: single characters, tokens that stand before a digit somewhere,
+and those that are abbreviations in another language.
 
 Markdown: blank lines part paragraphs; headings, list items and table rows are blocks of their own; tables, images, display formulas and fenced
 code hold no units; markers aren't part of a unit. An ordered list inside a paragraph begins only with 1, as otherwise a wrapped line such as
@@ -30,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FLOOR = 1e-5
+from ..runtime import cut
+
 NUMBER = "##"
 #: frequent function words, by which the language of text in Latin script is told; fixed values
 FUNCTION_WORDS = {
@@ -182,9 +184,12 @@ def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
         for text, cells, label in zip(b.column("text"), b.column("cells"), b.column("lang").to_pylist()):
             for _, p, lang, heading in paragraphs(text.as_py(), cells.as_py(), label):
+                c = counts[lang]
+                for m in END.finditer(p):
+                    if not m["cjk"] and m["stop"] == "." and after(p, m.end())[:1].isdigit():
+                        c["k"][before(p, m.start())] += 1
                 if heading:
                     continue
-                c = counts[lang]
                 c["w"].update(WORD.findall(p))
                 size = len(p.rstrip())
                 if lang in ("zh", "ja"):
@@ -239,36 +244,38 @@ class Model:
 
     @classmethod
     def fit(cls, rows: list) -> Model:
-        model, by = cls(), defaultdict(list)
-        for r in rows:
-            by[r["lang"]].append(r)
-        for lang, some in by.items():
-            total = [some[0][f"all_{k}"] for k in "pews"]
-            periods, ends, words, begun = (x or 0 for x in total)
-            for r in some:
-                t, w, p, e, s, c = r["token"], r["w"] or 0, r["p"] or 0, r["e"] or 0, r["s"] or 0, r["c"] or 0
-                if s >= 2 and (lang in ("zh", "ja") or s / max(w, s) >= 0.5 and ratio(s, w, begun - s, max(words - w, 1)) >= 30):
-                    model.first[lang].add(t)
-                if c >= 3 and s * 20 <= c and ratio(c, max(w, c), periods, max(words, periods)) >= 7.88:
-                    model.joined[lang].add(t)
-                if p < 3:
-                    continue
-                w = max(w, p)  # with inner periods a token is no plain word
-                rate = ends / periods if periods else 0
-                rarely = e / p < rate / 4 and ratio(e, p, ends - e, periods - p) >= 7.88
-                # how firmly the token is bound to its period, weighed for length, inner periods and occurrences without
-                tied = ratio(p, w, max(periods - p, 1), max(words - w, 1)) if p / w > periods / max(words, 1) else 0.0
-                letters = len(t.replace(".", "").replace("-", ""))
-                score = tied * math.exp(-letters / 2) * (t.count(".") + 1) * letters ** -min(w - p, 20.0)
-                short = t == NUMBER or letters <= 6
-                # a collocation of the token with numbers ("no. 5") tells even where the same letters are a common word
-                if rarely and short and (t == NUMBER or score >= 0.3 or 10 * (r["d"] or 0) >= 9 * p):
-                    (model.bound if e * 50 <= p else model.open)[lang].add(t)
-                else:
-                    model.known[lang].add(t)
+        """Of rows ``lang, token, role``."""
+        model = cls()
+        for lang, token, role in rows:
+            getattr(model, role)[lang].add(token)
         model.any_bound = {t for lang in LATIN for t in model.bound[lang]} - {NUMBER}
         return model
 
+    @staticmethod
+    def roles(lang: str, t: str, r: dict) -> Iterator[str]:
+        """What a token is in a language, by its counts and the totals of the language."""
+        periods, ends, words, begun = (r[f"all_{k}"] or 0 for k in "pews")
+        w, p, e, s, c = (r[k] or 0 for k in "wpesc")
+        if s >= 2 and (lang in ("zh", "ja") or s / max(w, s) >= 0.5 and ratio(s, w, begun - s, max(words - w, 1)) >= 30):
+            yield "first"
+        if c >= 3 and s * 20 <= c and ratio(c, max(w, c), periods, max(words, periods)) >= 7.88:
+            yield "joined"
+        if p < 3:
+            return
+        w = max(w, p)  # with inner periods a token is no plain word
+        rate = ends / periods if periods else 0
+        rarely = e / p < rate / 4 and ratio(e, p, ends - e, periods - p) >= 7.88
+        # how firmly the token is bound to its period, weighed for length, inner periods and occurrences without
+        tied = ratio(p, w, max(periods - p, 1), max(words - w, 1)) if p / w > periods / max(words, 1) else 0.0
+        letters = len(t.replace(".", "").replace("-", ""))
+        score = tied * math.exp(-letters / 2) * (t.count(".") + 1) * letters ** -min(w - p, 20.0)
+        short = t == NUMBER or letters <= 6
+        # a collocation of the token with numbers ("no. 5") tells even where the same letters are a common word
+        if rarely and short and (t == NUMBER or score >= 0.3 or 10 * (r["d"] or 0) >= 9 * p):
+            yield "bound" if e * 50 <= p else "open"
+        else:
+            yield "known"
+
     def ends(self, lang: str, p: str, m: re.Match) -> bool:
         """Whether the stop of a match of END ends a sentence."""
         nxt_at = m.end()
@@ -332,14 +339,24 @@ class Model:
             begin = e
 
 
+def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(r["lang"], r["token"], role, role != "known" or len(r["token"]) == 1 or bool(r["k"])) for r in b.to_pylist() for role in Model.roles(r["lang"], r["token"], r)]
+        cols = list(zip(*rows)) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.bool_()))], ["lang", "token", "role", "held"])
+
+
 def learn(docs: DataFrame) -> Model:
     """The model of a corpus of rows ``text, cells, lang``."""
     counted = docs.mapInArrow(observe, "lang string, kind string, token string, n bigint").groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
     of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")))
-    tokens = counted.groupBy("lang", "token").agg(*[of(k).alias(k) for k in "wpescd"])
+    tokens = counted.groupBy("lang", "token").agg(*[of(k).alias(k) for k in "wpescdk"])
     totals = counted.groupBy(F.col("lang").alias("l")).agg(of("p").alias("all_p"), of("e").alias("all_e"), of("w").alias("all_w"), of("s").alias("all_s"))
-    frequent = (F.coalesce("p", F.lit(0)) >= F.greatest(F.lit(3), FLOOR * F.col("all_p"))) | (F.greatest(F.coalesce("s", F.lit(0)), F.coalesce("c", F.lit(0))) >= F.greatest(F.lit(2), FLOOR * F.col("all_s")))
-    return Model.fit(tokens.join(totals, tokens["lang"] == totals["l"]).filter(frequent).drop("l").collect())
+    some = tokens.filter("p >= 3 or s >= 2 or c >= 3")
+    judged = cut(some.join(F.broadcast(totals), some["lang"] == totals["l"]).drop("l").mapInArrow(judge, "lang string, token string, role string, held boolean"))
+    elsewhere = judged.filter((F.col("role") == "bound") & F.col("lang").isin(*LATIN)).select("token").distinct()
+    held = judged.filter("held").unionByName(judged.filter("not held").join(elsewhere, "token", "left_semi"))
+    return Model.fit(held.select("lang", "token", "role").collect())
 
 
 def sentences(docs: DataFrame, id: str = "doc_id", text: str = "text", cells: str = "cells", lang: str = "lang", model: Model | None = None) -> DataFrame:
@@ -348,7 +365,7 @@ def sentences(docs: DataFrame, id: str = "doc_id", text: str = "text", cells: st
     model = model or learn(rows)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, begins, ends = [], [], []
             for doc, t, cs, label in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("cells"), b.column("lang").to_pylist()):
@@ -359,4 +376,4 @@ def sentences(docs: DataFrame, id: str = "doc_id", text: str = "text", cells: st
                         ends.append(at + e)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "begin_char", "end_char"])
 
-    return rows.mapInArrow(cut, "doc_id bigint, begin_char int, end_char int")
+    return rows.mapInArrow(classify, "doc_id bigint, begin_char int, end_char int")
