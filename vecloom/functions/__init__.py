@@ -1 +1 @@
-"""Column expressions over vectors and codes."""
+"""Column expressions: vectors, quantisation, codecs, losses."""

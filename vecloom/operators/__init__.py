@@ -1 +1 @@
-"""Relational operators: search, index maintenance, key-value views, change application."""
+"""Operators: searches, inverted lists, training, maintenance, key-value data, documents, change feeds."""

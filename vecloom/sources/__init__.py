@@ -1 +1 @@
-"""Readers, writers and catalogues."""
+"""Sources and sinks: raw matrices, checkpoints of collections."""

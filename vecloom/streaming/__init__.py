@@ -1 +1 @@
-"""Structured Streaming jobs."""
+"""Structured Streaming: continuous inserts, change feeds, latest versions with expiry."""
