@@ -38,13 +38,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or a temporary one where it is unset
-    (which suits local sessions only)."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Where it is unset, a local session gets a temporary one;
+    on a cluster that would be another disk for each executor, so it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
         if not path:
+            if not local(spark):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             path = tempfile.mkdtemp(prefix="vecloom-")
             spark.sparkContext.setCheckpointDir(path)
             spark.conf.set("spark.vecloom.scratch", path)
@@ -65,25 +73,39 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def scratch(spark: SparkSession, what: str = "stage") -> str:
-    """A new folder name in the shared folder; removed when the Python driver ends."""
+    """A new folder name in the shared folder; removed by ``release`` or when the Python driver ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
+    if what == "code":
+        atexit.register(remove, spark, path)
+    else:
+        if not _made:
+            atexit.register(release)
+        _made.append((spark, path))
     return path
 
 
+def release() -> None:
+    """Remove all intermediate results made so far. For long sessions: call it when the results of the queries run so far have been written."""
+    while _made:
+        remove(*_made.pop())
+
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers: nothing to do where PYTHONPATH already leads to it, else a zip of it is
+    """Make this package importable in the Python workers: nothing to do in a local session whose PYTHONPATH leads to it, else a zip of it is
     put into the shared folder and added to the session."""
     root = Path(__file__).resolve().parent
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
-    if str(root.parent) in [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]:
+    if local(spark) and str(root.parent) in [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]:
         return
     held = io.BytesIO()
     with zipfile.ZipFile(held, "w") as z:
