@@ -174,7 +174,8 @@ class Embedder(Protocol):
 
 
 class HashingEmbedder:
-    """Counts of hashed words with random signs, of unit length: deterministic and without a model. Empty and null texts give zeros."""
+    """Counts of hashed words, of long ones (and so of scripts without spaces) also of all runs of three characters, with random signs and of unit
+    length: deterministic and without a model. Empty and null texts give zeros."""
 
     def __init__(self, d: int = 64):
         self.d = d
@@ -184,7 +185,8 @@ class HashingEmbedder:
 
         out = np.zeros((len(texts), self.d))
         for row, t in zip(out, texts):
-            for w in (t or "").lower().split():
+            words = (t or "").lower().split()
+            for w in [*words, *(w[i : i + 3] for w in words if len(w) > 12 for i in range(len(w) - 2))]:
                 h = zlib.crc32(w.encode())
                 row[h % self.d] += 1 if h >> 31 else -1
         size = np.sqrt((out * out).sum(axis=1))[:, None]
