@@ -8,10 +8,10 @@ larger than a context is divided: into full contexts, and a rest that is packed
 Where the texts are they are counted, and divided if need be; only sizes and ranges are shuffled. Packing goes by shards of about ``SHARD`` texts by a
 hash of the id, each on one task with bounded memory, so room is left over shard by shard.
 
-Tokens: a run of up to ``LETTERS`` letters with their marks, one ideograph, kana or letter of a script without spaces, a run of up to three digits, or one other
-character that isn't white space. White space belongs to the token before it (at the start of a text, to the first).
+Tokens are those of a public tokenizer over the whole text (``tokens``). A text larger than a context is cut where the prefix sums of its tokens say, at the last character
+at which a part still fits.
 
-Defined results: null and empty texts and texts of white space have no tokens and are in no context; rows with a null id are left out; of several
+Defined results: null and empty texts have no tokens and are in no context; rows with a null id are left out; of several
 rows of one id one counts, that with the most tokens; an empty table gives no rows; other columns are ignored.
 """
 
@@ -21,29 +21,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut, whole_groups
+from .tokens import VOCABULARY, Tokenizer, tokenizer
 
 CONTEXT, SHARD = 8192, 16384
 LINEAR, QUADRATIC = 1.0, 1 / 1024
-LETTERS = 6
-TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]|\p{L}[\p{L}\p{M}]{0,%d}|\d{1,3}|\S" % (LETTERS - 1))
 PARTS = "id bigint, part_no int, begin_char int, end_char int, tokens int"
 
 
-def parts(text: str | None, size: int) -> list[tuple[int, int, int]]:
+def parts(text: str | None, size: int, tokens: Tokenizer) -> list[tuple[int, int, int]]:
     """(begin, end, tokens) of a text's parts: one, or full contexts and a rest if it is larger than a context. They cover the text."""
     if not text:
         return []
-    count = len(TOKEN.findall(text))
+    count = tokens.count(text)
     if count <= size:
-        return [(0, len(text), count)] if count else []
-    at = [0, *(m.start() for k, m in enumerate(TOKEN.finditer(text)) if k and not k % size), len(text)]
-    return [(s, e, min(size, count - k * size)) for k, (s, e) in enumerate(zip(at[:-1], at[1:]))]
+        return [(0, len(text), count)]
+    sums, out, begin = tokens.sums(text), [], 0
+    while begin < len(text):
+        end = max(begin + 1, int(np.searchsorted(sums, sums[begin] + size, "right")) - 1)
+        out.append((begin, end, int(sums[end] - sums[begin])))
+        begin = end
+    return out
 
 
 def pack(tokens: np.ndarray, size: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> np.ndarray:
@@ -65,16 +67,16 @@ def pack(tokens: np.ndarray, size: int, linear: float = LINEAR, quadratic: float
     return out
 
 
-def _measure(size: int):
+def _measure(size: int, tokens: Tokenizer):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for id, text in zip(b.column("id").to_pylist(), b.column("text")):
                 t = text.as_py()
-                if p := parts(t, size):
-                    rows.append((id, sum(x[2] for x in p), xxhash.xxh3_64_intdigest(t) >> 1, [0, *(x[1] for x in p)]))
-            cols = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["id", "total", "digest", "cuts"])
+                if p := parts(t, size, tokens):
+                    rows.append((id, sum(x[2] for x in p), xxhash.xxh3_64_intdigest(t) >> 1, [0, *(x[1] for x in p)], [x[2] for x in p]))
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())))], ["id", "total", "digest", "cuts", "sizes"])
 
     return measure
 
@@ -90,13 +92,14 @@ def _pack(size: int):
     return shards
 
 
-def contexts(df: DataFrame, id: str, text: str, size: int = CONTEXT, shard: int = SHARD) -> DataFrame:
+def contexts(df: DataFrame, id: str, text: str, size: int = CONTEXT, shard: int = SHARD, vocabulary: str = VOCABULARY) -> DataFrame:
     """``context_id, id, part_no, begin_char, end_char, tokens``: the context of every text, or of every part of one larger than a context."""
     texts = df.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).filter("id is not null")
-    measured = texts.mapInArrow(_measure(size), "id bigint, total bigint, digest bigint, cuts array<int>").groupBy("id").agg(F.max(F.struct("total", "digest", "cuts")).alias("m"))
-    each = measured.select("id", "m.total", "m.cuts", F.explode(F.sequence(F.lit(0), F.size("m.cuts") - 2)).alias("part_no"))
+    counted = texts.mapInArrow(_measure(size, tokenizer(df.sparkSession, vocabulary)), "id bigint, total bigint, digest bigint, cuts array<int>, sizes array<int>")
+    measured = counted.groupBy("id").agg(F.max(F.struct("total", "digest", "cuts", "sizes")).alias("m"))
+    each = measured.select("id", "m.cuts", F.posexplode("m.sizes").alias("part_no", "tokens"))
     k = F.col("part_no")
-    counted = cut(each.select("id", "part_no", F.col("cuts")[k].alias("begin_char"), F.col("cuts")[k + 1].alias("end_char"), F.least(F.lit(size), F.col("total") - k * size).cast("int").alias("tokens")))
-    shards = max(1, -(-counted.count() // shard))
-    placed = counted.withColumn("shard", F.pmod(F.xxhash64("id", "part_no"), F.lit(shards)))
+    each = cut(each.select("id", "part_no", F.col("cuts")[k].alias("begin_char"), F.col("cuts")[k + 1].alias("end_char"), "tokens"))
+    shards = max(1, -(-each.count() // shard))
+    placed = each.withColumn("shard", F.pmod(F.xxhash64("id", "part_no"), F.lit(shards)))
     return placed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_pack(size), "context_id bigint, " + PARTS)
