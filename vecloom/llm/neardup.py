@@ -91,8 +91,6 @@ def registers(values: np.ndarray) -> np.ndarray:
         h += b
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
-        h ^= h >> np.uint32(12)
-        h *= np.uint32(0x297A2D39)
         least = np.minimum(least, h.min(axis=0))
     u = (least.astype(np.float64) + 1) / 2.0**32
     h = -np.log1p(-np.minimum(u, 1 - 1e-12)) / RATE
