@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import bounded, table
 from .contamination import leaks
 
 
 def p8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every notebook and item with its tiles; ``coverage`` of half the passage or more marks a whole leak, also a reordered one."""
+    """Every notebook and item with a common run of twelve words (24 characters), or with half of the passage in shorter tiles, as where its parts were
+    reordered; ``whole`` marks a coverage of half the passage or more."""
     found = leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "passage", "lang")
     return found.withColumn("whole", F.col("coverage") >= 0.5)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_tiles(spark, sf_dir).select("doc_id", "item_id")
+    """Those with such a run; the items' languages decide what a run is."""
+    items = table(spark, sf_dir, "eval_item").select("item_id", F.when(F.col("lang") == "zh", 24).otherwise(12).alias("least"))
+    return p8_tiles(spark, sf_dir).join(bounded(items, 100_000), "item_id").filter(F.col("longest") >= F.col("least")).select("doc_id", "item_id")
 
 
 QUERIES = {"p8_found": p8_found, "p8_tiles": p8_tiles}
