@@ -1,12 +1,16 @@
 """Sentence units of Markdown in many languages, with abbreviations learned from the corpus.
 
-Two passes over the texts:
+Three passes over the texts:
 
-1. Statistics. For every language the passes count, over all texts, how often a token stands with and without a period, how often with a period at
+1. Languages. Script tells a language where it is enough. For text in Latin script the words of the cells are counted for every label the rows bear (its first two letters, in lower
+   case), whatever languages these are; relative frequencies, drawn towards those of the whole corpus while a label has little text, give each label the ``PROFILE`` words that
+   tell it best, with weights. A cell is of the label of the greatest sum of weights, its row's own label counting ``OWN`` in advance. So wrong and missing labels and cells in another language than
+   the rest are put right by the corpus; a few function words (``FUNCTION_WORDS``) are counted in beforehand for corpora too small to learn from.
+2. Statistics. For every language the passes count, over all texts, how often a token stands with and without a period, how often with a period at
    the end of a paragraph, how often a word begins a paragraph or follows ``!`` or ``?``, and which words follow numbers with a period. The counts are
    added up by Spark; log-likelihood ratios over them give the model: abbreviations (tokens bound to their period which end
    paragraphs significantly less than other tokens with periods), collocations of a number with the word after it, and sentence starters.
-2. Classification of every possible end with these statistics, the case of what follows, quotes, and the rules of the script.
+3. Classification of every possible end with these statistics, the case of what follows, quotes, and the rules of the script.
 
 Tokens are judged in Spark by their counts alone, whatever their share of the corpus. The model holds abbreviations, collocations and starters, and of the
 other tokens seen with periods only those for which having been seen can decide: single characters, tokens that stand before a digit somewhere,
@@ -17,7 +21,7 @@ code hold no units; markers aren't part of a unit. An ordered list inside a para
 "2. Lauf" would be one.
 
 Defined results: null and empty texts, texts without cells and cells out of range give no units (ranges are clipped to the text); rows with a null id are
-left out; repeated rows give their units once; other columns are ignored.
+left out; repeated rows are texts of their own and give their units each time; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,30 +30,32 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut
 
 NUMBER = "##"
-#: frequent function words, by which the language of text in Latin script is told; fixed values
+#: frequent function words, counted in beforehand; fixed values
 FUNCTION_WORDS = {
     "en": "the of and is to in it for by was were this that with from on at we you not are a an or as be do does",
     "de": "der die das und ist nicht wurde für von mit im am dem den ein eine einer auf aus dazu wird so bei gilt hat es",
     "es": "el la los las de en y que una por con se no del al son un está lo para es en vez",
     "fr": "le la les des une est et pour que dans on du de en un ne pas au aux ce se quel pourquoi elle il",
 }
-_VOTES: dict[str, list[str]] = defaultdict(list)
-for _lang, _words in FUNCTION_WORDS.items():
-    for _w in set(_words.split()):
-        _VOTES[_w].append(_lang)
+PROFILE = 400  # words of a label that are held
+BEFOREHAND = 20  # occurrences of each function word counted in
+EVIDENCE = 2_000  # words by which a label's frequencies are drawn towards those of the corpus
+RARE, TELLING, OWN = 2e-4, 4.0, 1.0  # frequency below which a word tells little; the most a word tells; what the row's own label counts
 SCRIPTS = [
     ("ja", re.compile("[぀-ヿ]")), ("zh", re.compile("[㐀-鿿]")), ("th", re.compile("[฀-๿]")), ("hi", re.compile("[ऀ-ॿ]")),
     ("ar", re.compile("[؀-ۿ]")), ("ru", re.compile("[Ѐ-ӿ]")), ("el", re.compile("[Ͱ-Ͽἀ-῿]")),
 ]
-LATIN = {"en", "de", "es", "fr"}
+OF_SCRIPTS = {lang for lang, _ in SCRIPTS}
 WORD = re.compile(r"[^\W\d_][\w’'-]*")
 CLOSE = r"(?:[\"'”’»)\]}*_`]|[   ]?»(?=[\s,.;:!?)…—]|$))*"
 CJK_CLOSE = r"[」』”’）)\]】》〉\"']*"
@@ -65,25 +71,107 @@ FENCE = re.compile(r"[ \t]{0,3}(```+|~~~+)")
 RULE = re.compile(r"[ \t]{0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,}|=+)[ \t]*$")
 
 
-def language(text: str, label: str | None = None) -> str:
-    """By script; in Latin script by function words, else by the label, else English."""
-    if not text.isascii():
-        best, most = None, 0
-        for lang, chars in SCRIPTS:
-            n = len(chars.findall(text))
-            if lang == "ja" and n:
-                return "ja"
-            if n > most:
-                best, most = lang, n
-        if best and 3 * most > len(WORD.findall(text)) or most > 20:
-            return best
-    votes = Counter(lang for w in text.lower().split() for lang in _VOTES.get(w, ()))
-    if votes:
-        (lang, n), *rest = votes.most_common(2)
-        if not rest or n > rest[0][1]:
-            return lang
-    base = (label or "").strip().lower()[:2]
-    return base if base in LATIN else (votes.most_common(1)[0][0] if votes else "en")
+def base(label: str | None) -> str:
+    """A label without region, script and case."""
+    return (label or "").strip().lower()[:2]
+
+
+def by_script(text: str) -> str | None:
+    """The language where the script tells it; None for Latin and other scripts."""
+    if text.isascii():
+        return None
+    best, most = None, 0
+    for lang, chars in SCRIPTS:
+        n = len(chars.findall(text))
+        if lang == "ja" and n:
+            return "ja"
+        if n > most:
+            best, most = lang, n
+    return best if best and 3 * most > len(WORD.findall(text)) or most > 20 else None
+
+
+class Profiles:
+    """Words that tell the languages of text in Latin script: ``weights`` of each word for languages, and the language of most text."""
+
+    def __init__(self, weights: dict[str, list[tuple[str, float]]], default: str):
+        self.weights, self.default = weights, default
+
+    @classmethod
+    def fit(cls, rows: list[tuple[str, str, int]], totals: dict[str, int]) -> Profiles:
+        """Of counts (label, word, n) and the number of words of each label."""
+        counts: dict[str, Counter] = defaultdict(Counter)
+        for label, word, n in rows:
+            counts[label][word] += n
+        size = Counter(totals)
+        for label, words in FUNCTION_WORDS.items():
+            for w in set(words.split()):
+                counts[label][w] += BEFOREHAND
+                size[label] += 2 * BEFOREHAND
+        whole, all_ = Counter(), sum(size.values())
+        for c in counts.values():
+            whole.update(c)
+        labels = sorted(counts)
+        weights: dict[str, list[tuple[str, float]]] = defaultdict(list)
+        share = {label: {w: (c[w] + EVIDENCE * whole[w] / all_) / (size[label] + EVIDENCE) for w in whole} for label, c in counts.items()}
+        for w in whole:
+            mean = sum(share[label][w] for label in labels) / len(labels)
+            for label in labels:
+                x = math.log((share[label][w] + RARE) / (mean + RARE))
+                if abs(x) > 0.1:
+                    weights[w].append((label, max(-TELLING, min(TELLING, x))))
+        return cls(dict(weights), max(labels, key=lambda x: (size[x], x)))
+
+    def language(self, text: str, label: str | None = None) -> str:
+        told = by_script(text)
+        if told:
+            return told
+        score: dict[str, float] = defaultdict(float)
+        own = base(label)
+        get = self.weights.get
+        for w in text.lower().split():
+            for lang, x in get(w, ()):
+                score[lang] += x
+        if own and own not in OF_SCRIPTS:
+            score[own] += OWN
+        return max(score, key=lambda x: (score[x], x)) if score and max(score.values()) > 0 else self.default
+
+
+def words_of_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of cells in Latin script by the label of their row; ``word`` null for the number of all."""
+    for b in batches:
+        counts: dict[str, Counter] = defaultdict(Counter)
+        for text, cells, label in zip(b.column("text"), b.column("cells"), b.column("lang").to_pylist()):
+            own = base(label)
+            if not own.isalpha() or own in OF_SCRIPTS:
+                continue
+            t = text.as_py()
+            for begin, end in ranges(t, cells.as_py()):
+                cell = t[begin:end]
+                if by_script(cell) is None:
+                    counts[own].update(cell.lower().split())
+        rows = [(label, w, n) for label, c in counts.items() for w, n in c.items() if w.isalpha()] + [(label, None, c.total()) for label, c in counts.items()]
+        cols = list(zip(*rows)) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()))], ["label", "word", "n"])
+
+
+def profiles(docs: DataFrame) -> Profiles:
+    """Of each label the PROFILE words whose frequency in it exceeds that in the corpus most, weighed by how often they occur; counted over all texts."""
+    counted = cut(docs.mapInArrow(words_of_labels, "label string, word string, n bigint").groupBy("label", "word").agg(F.sum("n").alias("n")))
+    totals = {r["label"]: r["n"] for r in counted.filter("word is null").collect()}  # labels have two letters
+    words = counted.filter("word is not null")
+    sizes = counted.filter("word is null").select("label", F.col("n").alias("size"))
+    whole = words.groupBy("word").agg(F.sum("n").alias("m"))
+    all_ = max(1, sum(totals.values()))
+    share, usual = F.col("n") / F.col("size"), F.col("m") / all_
+    told = words.join(F.broadcast(sizes), "label").join(whole, "word").withColumn("told", share * F.log((share + RARE) / (usual + RARE)))
+    best = told.filter("told > 0").withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.col("told").desc(), "word"))).filter(F.col("r") <= PROFILE).select("word").distinct()
+    rows = words.join(F.broadcast(best), "word", "left_semi").select("label", "word", "n").collect()  # PROFILE words and all their labels
+    return Profiles.fit([tuple(r) for r in rows], totals)
+
+
+def ranges(text: str, cells: list | None) -> list[tuple[int, int]]:
+    """Where the text cells lie."""
+    return sorted({(max(0, c["begin_char"]), min(len(text), c["end_char"])) for c in cells or [] if c and c["cell_kind"] == "text" and c["begin_char"] is not None and c["end_char"] is not None})
 
 
 def blocks(cell: str) -> Iterator[tuple[int, int, bool]]:
@@ -143,13 +231,13 @@ def masked(text: str) -> str:
     return text
 
 
-def paragraphs(text: str, cells: list | None, label: str | None) -> Iterator[tuple[int, str, str, bool]]:
+def paragraphs(text: str, cells: list | None, label: str | None, known: Profiles) -> Iterator[tuple[int, str, str, bool]]:
     """(offset in text, masked paragraph, language, heading) of the text cells."""
-    for begin, end in sorted({(max(0, c["begin_char"]), min(len(text), c["end_char"])) for c in cells or [] if c and c["cell_kind"] == "text" and c["begin_char"] is not None and c["end_char"] is not None}):
+    for begin, end in ranges(text, cells):
         cell = text[begin:end]
         if not cell.strip():
             continue
-        lang = language(IMAGE.sub("", cell) if "![" in cell else cell, label)
+        lang = known.language(IMAGE.sub("", cell) if "![" in cell else cell, label)
         for s, e, heading in blocks(cell):
             yield begin + s, masked(cell[s:e]), lang, heading
 
@@ -179,11 +267,11 @@ def small(word: str) -> bool:
     return word[:1].islower() and word == word.lower()
 
 
-def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def observe(known: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         counts: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
         for text, cells, label in zip(b.column("text"), b.column("cells"), b.column("lang").to_pylist()):
-            for _, p, lang, heading in paragraphs(text.as_py(), cells.as_py(), label):
+            for _, p, lang, heading in paragraphs(text.as_py(), cells.as_py(), label, known.value):
                 c = counts[lang]
                 for m in END.finditer(p):
                     if not m["cjk"] and m["stop"] == "." and after(p, m.end())[:1].isdigit():
@@ -238,17 +326,18 @@ class Model:
     """bound: tokens whose period never ends a sentence before a capital or digit; open: abbreviations that may; known: other tokens seen with
     periods; joined: words that go with the number before them; first: words (in scripts without spaces pairs of characters) that begin sentences."""
 
-    def __init__(self):
+    def __init__(self, profiles: Profiles):
+        self.profiles = profiles
         self.bound, self.open, self.known, self.joined, self.first = (defaultdict(set) for _ in range(5))
         self.any_bound: set[str] = set()
 
     @classmethod
-    def fit(cls, rows: list) -> Model:
+    def fit(cls, rows: list, profiles: Profiles) -> Model:
         """Of rows ``lang, token, role``."""
-        model = cls()
+        model = cls(profiles)
         for lang, token, role in rows:
             getattr(model, role)[lang].add(token)
-        model.any_bound = {t for lang in LATIN for t in model.bound[lang]} - {NUMBER}
+        model.any_bound = {t for lang in list(model.bound) if lang not in OF_SCRIPTS for t in model.bound[lang]} - {NUMBER}
         return model
 
     @staticmethod
@@ -348,15 +437,17 @@ def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame) -> Model:
     """The model of a corpus of rows ``text, cells, lang``."""
-    counted = docs.mapInArrow(observe, "lang string, kind string, token string, n bigint").groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
+    known = profiles(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+    counted = docs.mapInArrow(partial(observe, sent), "lang string, kind string, token string, n bigint").groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
     of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")))
     tokens = counted.groupBy("lang", "token").agg(*[of(k).alias(k) for k in "wpescdk"])
     totals = counted.groupBy(F.col("lang").alias("l")).agg(of("p").alias("all_p"), of("e").alias("all_e"), of("w").alias("all_w"), of("s").alias("all_s"))
     some = tokens.filter("p >= 3 or s >= 2 or c >= 3")
     judged = cut(some.join(F.broadcast(totals), some["lang"] == totals["l"]).drop("l").mapInArrow(judge, "lang string, token string, role string, held boolean"))
-    elsewhere = judged.filter((F.col("role") == "bound") & F.col("lang").isin(*LATIN)).select("token").distinct()
+    elsewhere = judged.filter((F.col("role") == "bound") & ~F.col("lang").isin(*OF_SCRIPTS)).select("token").distinct()
     held = judged.filter("held").unionByName(judged.filter("not held").join(elsewhere, "token", "left_semi"))
-    return Model.fit(held.select("lang", "token", "role").collect())
+    return Model.fit(held.select("lang", "token", "role").collect(), known)
 
 
 def sentences(docs: DataFrame, id: str = "doc_id", text: str = "text", cells: str = "cells", lang: str = "lang", model: Model | None = None) -> DataFrame:
@@ -369,7 +460,7 @@ def sentences(docs: DataFrame, id: str = "doc_id", text: str = "text", cells: st
         for b in batches:
             ids, begins, ends = [], [], []
             for doc, t, cs, label in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("cells"), b.column("lang").to_pylist()):
-                for at, p, l, heading in paragraphs(t.as_py(), cs.as_py(), label):
+                for at, p, l, heading in paragraphs(t.as_py(), cs.as_py(), label, sent.value.profiles):
                     for s, e in sent.value.units(p, l, heading):
                         ids.append(doc)
                         begins.append(at + s)
