@@ -4,7 +4,7 @@ Index. Vectors are packed into blocks. For each group (collection) ``BOOKS`` cod
 of a sample of at most ``SAMPLE`` vectors (block 0, a random part of the group); every vector is then encoded as a sum of one codeword of each
 book by beam search. A block keeps the codes, the vectors' norms, the length of what the code leaves over, and the vectors.
 
-Search. Query blocks are sent to every block of their group. Lookup tables hold the inner products of a query with all codewords; the estimate of a
+Search. Query blocks of a group are divided into crowds of about ``ACROSS``, and every crowd meets every block of the group in a task of its own. Lookup tables hold the inner products of a query with all codewords; the estimate of a
 vector is the sum of ``BOOKS`` table entries, with the stored norms for the other metrics. The best ``2 k + 16`` by estimate are scored exactly. Left over
 is a vector only if its estimate, raised by the most that its own quantisation error can add (the length of what its code leaves over times that of the
 query) and by the rounding of single precision, is below the k-th of those scores. So the answer is exact whatever the codebooks and the
@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, whole_groups
+from ..runtime import bounded, cut, whole_groups
 from .topn import top_n
 from .vectors import matrix, packed
 
 BLOCK, QUERIES, SAMPLE = 8192, 256, 4096
+ACROSS = 16  # blocks of queries in a crowd
+GROUPS = 100_000  # groups whose sizes may be broadcast
 BOOKS, WORDS, BEAM, ROUNDS = 16, 64, 3, 5
 ROUNDING = 2.0**-23  # of a step in single precision, doubled
 L2, INNER, COSINE = 0, 1, 2
@@ -188,8 +190,8 @@ def _pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for s, e in zip(at[:-1], at[1:]):
             s, e = int(s), int(e)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([v], k) for v, k in ((t.column("grp")[s].as_py(), pa.string()), (t.column("d")[s].as_py(), pa.int32()), (t.column("qid")[s:e].to_numpy().astype("<i8").tobytes(), pa.binary()), (t.column("sub")[s:e].to_numpy().astype("<i8").tobytes(), pa.binary()), (t.column("k")[s:e].to_numpy().astype("<i8").tobytes(), pa.binary()), (t.column("metric")[s:e].to_numpy().astype("<i8").tobytes(), pa.binary()), (matrix(t, s, e, "q").tobytes(), pa.binary()))],
-                ["grp", "d", "qids", "subs", "ks", "metrics", "qs"],
+                [pa.array([v], k) for v, k in ((t.column("grp")[s].as_py(), pa.string()), (t.column("d")[s].as_py(), pa.int32()), (t.column("qid")[s:e].to_numpy().astype("<i8").tobytes(), pa.binary()), (t.column("sub")[s:e].to_numpy().astype("<i8").tobytes(), pa.binary()), (t.column("k")[s:e].to_numpy().astype("<i8").tobytes(), pa.binary()), (t.column("metric")[s:e].to_numpy().astype("<i8").tobytes(), pa.binary()), (matrix(t, s, e, "q").tobytes(), pa.binary()), (t.column("crowd")[s].as_py(), pa.int32()))],
+                ["grp", "d", "qids", "subs", "ks", "metrics", "qs", "crowd"],
             )
 
 
@@ -198,7 +200,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(b.num_rows):
             get = lambda c: b.column(c)[i].as_py()  # noqa: B023, E731
-            here = get("grp"), get("block")
+            here = get("grp"), get("block"), get("crowd")
             if get("kind") == 0:
                 block, at = Block(*(get(c) for c in ("ids", "vecs", "codes", "left", "books", "n", "d"))), here
                 continue
@@ -214,12 +216,15 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def search(index: DataFrame, queries: DataFrame) -> DataFrame:
     """``qid, sub, id, score, rank`` for queries ``qid bigint, sub bigint, grp string, q array<float>, k, metric`` ((qid, sub) unique). Scores are
     such that larger is better (squared distances are negated)."""
-    sizes = index.select("grp", "blocks").filter("block = 0")
     asked = queries.filter("k > 0 and size(q) > 0 and qid is not null and metric in (0, 1, 2)").withColumn("d", F.size("q"))
-    counts = asked.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-    placed = asked.join(counts, "grp").withColumn("part", F.pmod(F.xxhash64("qid", "sub"), F.col("parts")).cast("int"))
-    blocks = placed.repartition("grp", "part").sortWithinPartitions("grp", "part", "d").mapInArrow(_pack_queries, "grp string, d int, qids binary, subs binary, ks binary, metrics binary, qs binary")
+    # of each group: blocks of its queries, and the crowds these are divided into, so a cell of one index block and one crowd has bounded work and bytes
+    parts = F.ceil(F.count("*") / QUERIES).cast("int")
+    counts = bounded(cut(asked.groupBy("grp").agg(parts.alias("parts"), F.ceil(parts / ACROSS).cast("int").alias("crowds"))), GROUPS)
+    placed = asked.join(counts, "grp").withColumn("part", F.pmod(F.xxhash64("qid", "sub"), F.col("parts")).cast("int")).withColumn("crowd", F.col("part") % F.col("crowds"))
+    blocks = placed.repartition("grp", "part").sortWithinPartitions("grp", "part", "d").mapInArrow(_pack_queries, "grp string, d int, qids binary, subs binary, ks binary, metrics binary, qs binary, crowd int")
+    sizes = bounded(index.select("grp", "blocks").filter("block = 0"), GROUPS)
     sent = blocks.join(sizes, "grp").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks").withColumn("kind", F.lit(1))
-    rows = index.withColumn("kind", F.lit(0)).drop("blocks").unionByName(sent, allowMissingColumns=True)
-    found = rows.repartition("grp", "block").sortWithinPartitions("grp", "block", "kind").mapInArrow(_search, "qid bigint, sub bigint, k bigint, id bigint, score double")
+    stored = index.drop("blocks").join(counts.select("grp", "crowds"), "grp").withColumn("crowd", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1))).drop("crowds").withColumn("kind", F.lit(0))
+    rows = stored.unionByName(sent, allowMissingColumns=True)
+    found = rows.repartition("grp", "block", "crowd").sortWithinPartitions("grp", "block", "crowd", "kind").mapInArrow(_search, "qid bigint, sub bigint, k bigint, id bigint, score double")
     return top_n(found, ["qid", "sub"], "score", "id", "k")

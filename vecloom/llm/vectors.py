@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import flat, table, whole_groups
@@ -25,8 +25,9 @@ def latest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = table(spark, sf_dir, "add_request").select(F.col("collection_name").alias("grp"), "sent_at", "n", "d", "vecs", "ids")
     fit = added.join(info, "grp").filter("d = dim and n > 0 and size(ids) = n and size(vecs) = n * d")
     one = fit.select("grp", "sent_at", "d", "vecs", F.posexplode("ids").alias("pos", "id")).select("grp", "sent_at", "id", F.slice("vecs", F.col("pos") * F.col("d") + 1, F.col("d")).alias("vec"))
-    last = Window.partitionBy("id").orderBy(F.col("sent_at").desc_nulls_last(), "grp", "vec")
-    return one.filter(F.col("id").isNotNull() & usable(F.col("vec"))).withColumn("r", F.row_number().over(last)).filter("r = 1").select("grp", "id", "vec")
+    # aggregated before the shuffle: of an id a task sends on one vector; nulls of sent_at are less than all times
+    newest = one.filter(F.col("id").isNotNull() & usable(F.col("vec"))).groupBy("id").agg(F.max(F.struct("sent_at", "grp", "vec")).alias("m"))
+    return newest.select("m.grp", "id", "m.vec")
 
 
 def matrix(t: pa.Table, s: int, e: int, name: str = "vec") -> np.ndarray:
