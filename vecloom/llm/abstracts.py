@@ -28,4 +28,12 @@ p AS (SELECT a.id AS id_a, b.id AS id_b, COUNT(*) AS x FROM g a JOIN g b ON a.g
 r AS (SELECT id_a, id_b FROM p JOIN s a ON a.id = id_a JOIN s b ON b.id = id_b WHERE x >= {j} * (a.n + b.n - x))
 """
 
-ORACLES = {"p3_found": _SETS.format(n=3, j=0.7) + "SELECT id_a, id_b FROM r"}
+ORACLES = {
+    "p3_found": _SETS.format(n=3, j=0.7) + "SELECT id_a, id_b FROM r",
+    "p3_classes": _SETS.format(n=5, j=0.8).rstrip()
+    + """,
+c AS (SELECT id, MIN(id) OVER (PARTITION BY s) AS rep, COUNT(*) OVER (PARTITION BY s) AS copies FROM (SELECT id, LIST(g ORDER BY g) AS s FROM g GROUP BY id)),
+e AS (SELECT a.rep AS rep FROM r JOIN c a ON a.id = id_a JOIN c b ON b.id = id_b WHERE a.rep = a.id AND b.rep = b.id
+  UNION ALL SELECT b.rep FROM r JOIN c a ON a.id = id_a JOIN c b ON b.id = id_b WHERE a.rep = a.id AND b.rep = b.id)
+SELECT id, rep, copies, (SELECT COUNT(*) FROM e WHERE e.rep = c.rep) AS links FROM c""",
+}

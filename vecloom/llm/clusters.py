@@ -24,13 +24,16 @@ def p2_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p2_typical": p2_typical}
 
-ORACLES = {
-    "p2_found": """
+#: the usable latest vectors, as ``l``
+LATEST = """
 WITH i AS (SELECT collection_name, MAX(d) AS dim FROM collection_info GROUP BY ALL),
 f AS (SELECT collection_name, sent_at, a.d, vecs, ids, UNNEST(RANGE(LEN(ids))) AS p FROM add_request a JOIN i USING (collection_name) WHERE a.d = dim AND n > 0 AND LEN(ids) = n AND LEN(vecs) = n * a.d),
 o AS (SELECT collection_name, sent_at, ids[p + 1] AS id, CAST(vecs[p * d + 1 : (p + 1) * d] AS DOUBLE[]) AS v FROM f),
 u AS (SELECT * FROM o WHERE id IS NOT NULL AND LEN([x FOR x IN v IF x IS NULL OR NOT ISFINITE(x)]) = 0 AND LEN([x FOR x IN v IF x <> 0]) > 0),
-l AS (SELECT * FROM u QUALIFY ROW_NUMBER() OVER (PARTITION BY id ORDER BY sent_at DESC NULLS LAST, collection_name, v) = 1),
+l AS (SELECT * FROM u QUALIFY ROW_NUMBER() OVER (PARTITION BY id ORDER BY sent_at DESC NULLS LAST, collection_name DESC, v DESC) = 1)"""
+
+ORACLES = {
+    "p2_found": LATEST + """,
 p AS (SELECT a.id AS a, b.id AS b FROM l a JOIN l b ON a.collection_name = b.collection_name WHERE LIST_COSINE_SIMILARITY(a.v, b.v) >= 0.7 OR a.id = b.id)
 SELECT MIN(b) AS cluster_id, a AS vec_id FROM p GROUP BY a HAVING COUNT(*) > 1""",
 }

@@ -23,3 +23,16 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p8_found": p8_found, "p8_tiles": p8_tiles}
+
+_PLAIN = "REGEXP_EXTRACT_ALL(LOWER(STRIP_ACCENTS(REGEXP_REPLACE({}, '</?[A-Za-z][^<>]*>|<!--.*?-->', '', 'gs'))), '[\\p{{L}}\\p{{N}}]+')"
+
+ORACLES = {
+    "p8_found": f"""
+WITH d AS (SELECT doc_id, {_PLAIN.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, lang, {_PLAIN.format("passage")} AS w FROM eval_item WHERE passage IS NOT NULL),
+pw AS (SELECT DISTINCT item_id, ARRAY_TO_STRING(w[k : k + 11], ' ') AS g FROM (SELECT item_id, w, UNNEST(RANGE(1, LEN(w) - 10)) AS k FROM i WHERE lang IS DISTINCT FROM 'zh')),
+dw AS (SELECT DISTINCT doc_id, ARRAY_TO_STRING(w[k : k + 11], ' ') AS g FROM (SELECT doc_id, w, UNNEST(RANGE(1, LEN(w) - 10)) AS k FROM d)),
+pc AS (SELECT DISTINCT item_id, SUBSTR(c, k, 24) AS g FROM (SELECT item_id, c, UNNEST(RANGE(1, LENGTH(c) - 22)) AS k FROM (SELECT item_id, ARRAY_TO_STRING(w, '') AS c FROM i WHERE lang = 'zh'))),
+dc AS (SELECT DISTINCT doc_id, SUBSTR(c, k, 24) AS g FROM (SELECT doc_id, c, UNNEST(RANGE(1, LENGTH(c) - 22)) AS k FROM (SELECT doc_id, ARRAY_TO_STRING(w, '') AS c FROM d)) WHERE REGEXP_MATCHES(SUBSTR(c, k, 1), '[\\x{{3400}}-\\x{{9fff}}]'))
+SELECT DISTINCT doc_id, item_id FROM pw JOIN dw USING (g) UNION SELECT doc_id, item_id FROM pc JOIN dc USING (g)""",
+}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut, table
 from .additive import build_index, search
+from .clusters import LATEST
 from .vectors import latest_vectors
 
 
@@ -37,4 +38,17 @@ def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours}
 
-ORACLES = {}
+ORACLES = {
+    "p5_found": LATEST
+    + """,
+g AS (SELECT DISTINCT request_id, collection_name, n, r.d, k, COALESCE(metric_type, 0) AS metric, vecs FROM search_request r JOIN i USING (collection_name)
+  WHERE request_id IS NOT NULL AND k > 0 AND r.d = dim AND n > 0 AND LEN(vecs) = n * r.d AND LEN([x FOR x IN vecs IF x IS NULL OR NOT ISFINITE(x)]) = 0),
+q AS (SELECT request_id, collection_name, k, metric, p AS qno, CAST(vecs[p * d + 1 : (p + 1) * d] AS DOUBLE[]) AS q FROM (SELECT *, UNNEST(RANGE(n)) AS p FROM g)),
+s AS (SELECT request_id, qno, k, id, CASE metric WHEN 0 THEN LIST_DISTANCE(q, v) WHEN 1 THEN -LIST_INNER_PRODUCT(q, v) WHEN 2 THEN CASE WHEN LEN([x FOR x IN q IF x <> 0]) = 0 THEN 0 ELSE -LIST_COSINE_SIMILARITY(q, v) END END AS key
+  FROM q JOIN l USING (collection_name) WHERE metric IN (0, 1, 2))
+SELECT request_id, CAST(qno AS INTEGER) AS qno, id AS vec_id FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY request_id, qno ORDER BY key, id) <= k""",
+    "p5_neighbours": LATEST
+    + """
+SELECT vec_id, neighbour_id, CAST(rank AS INTEGER) AS rank FROM (SELECT a.id AS vec_id, b.id AS neighbour_id, ROW_NUMBER() OVER (PARTITION BY a.id ORDER BY ROUND(LIST_COSINE_SIMILARITY(a.v, b.v), 12) DESC, b.id) AS rank
+  FROM l a JOIN l b ON a.collection_name = b.collection_name AND a.id <> b.id WHERE a.id % 20 = 0) WHERE rank <= 10""",
+}
