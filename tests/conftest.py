@@ -11,7 +11,7 @@ sys.path.insert(0, str(ROOT))
 def spark(tmp_path_factory):
     from vecloom.runtime import session, ship
 
-    s = session("tests", **{"spark.master": "local[4]", "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false"})
+    s = session("tests", **{"spark.master": "local[8]", "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false"})
     s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("scratch")))
     ship(s)
     yield s
