@@ -72,3 +72,8 @@ def test_all_notebooks_are_packed_with_little_room_left(spark, tokens):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     fill = check(texts, queries()["p7_contexts"](spark, DATA).collect(), CONTEXT, tokens)
     assert fill > 0.98
+
+
+def test_balance(spark):
+    (r,) = queries()["p7_balance"](spark, DATA).collect()
+    assert r["least"] <= r["contexts"] <= 1.02 * r["least"] + 1 and r["fill"] > 0.98 and r["mean_cost"] <= r["top_cost"]
